@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sealwork.llm import groups, leaks, mixing
+from sealwork.llm import abuse, groups, leaks, mixing
 from sealwork.session import Scratch, read_table
 
 
@@ -36,5 +36,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_leaks, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("abusive").select("doc_id")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its score and the threshold of its language."""
+    return abuse.scored(read_table(spark, d, "documents"), read_table(spark, d, "doc_labels"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(p9_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p7_found, p7_leaks, p8_mix, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}
