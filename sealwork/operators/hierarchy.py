@@ -203,6 +203,36 @@ def _knots_shuffled(nodes: DataFrame, edges: DataFrame, scratch) -> DataFrame:
     return dist.join(loops, "node", "left").select("node", "root", "depth", F.coalesce(F.col("loop") == F.col("root"), F.lit(False)).alias("looped"))
 
 
+# ---------------------------------------------------------------- descendants
+
+
+def links_of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (child, parent) of rows (node, parents); null or blank parents, and parents that are no node, are no links."""
+    edges = rows.select(F.col("node").alias("child"), F.explode("parents").alias("parent")).where("parent is not null and trim(parent) <> ''").distinct()
+    return edges.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi")
+
+
+def descendants(links: DataFrame, scratch) -> DataFrame:
+    """Distinct (node, descendant) over all parents, on and above loops as well; a node is not listed as its own descendant.
+
+    Walks of exactly k links, followed by all pairs up to k links apart, give the pairs up to 2k apart, so that a descent of n
+    links takes about log2(n) jobs. Nothing is collected in a list: every pair is a row.
+    """
+    rows = links.where("node is not null")
+    ids = scratch.save(scratch.save(rows.select("node").distinct()).withColumn("id", F.monotonically_increasing_id()))
+    e = links_of(rows, ids).join(ids.selectExpr("node child", "id d"), "child").join(ids.selectExpr("node parent", "id a"), "parent").select("a", "d")
+    walks = pairs = scratch.save(e)
+    while walks.limit(1).count():
+        on = pairs.select(F.col("a").alias("m"), "d", F.lit(False).alias("exact")).unionByName(walks.select(F.col("a").alias("m"), "d", F.lit(True).alias("exact")))
+        far = walks.withColumnRenamed("d", "m").join(on, "m").groupBy("a", "d").agg(F.bool_or("exact").alias("exact"))
+        far = scratch.save(far.join(pairs.withColumn("old", F.lit(True)), ["a", "d"], "left"))
+        new = far.where("old is null").select("a", "d")
+        if not new.limit(1).count():
+            break
+        pairs, walks = pairs.unionByName(new), far.where("exact").select("a", "d")
+    return pairs.where("a <> d").join(ids.selectExpr("node", "id a"), "a").join(ids.selectExpr("node descendant", "id d"), "d").select("node", "descendant")
+
+
 # ---------------------------------------------------------------- the operator
 
 

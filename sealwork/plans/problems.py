@@ -72,9 +72,12 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(p3_found(spark, d))
 
 
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "runs").select(F.col("run_id").alias("node"), "parents", "session_id", "ingested_at")
+
+
 def _descents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    runs = read_table(spark, d, "runs").select(F.col("run_id").alias("node"), "parents", "session_id", "ingested_at")
-    return hierarchy.hierarchy(runs, Scratch(spark, "hierarchy"), ["session_id", "ingested_at"])
+    return hierarchy.hierarchy(_runs(spark, d), Scratch(spark, "hierarchy"), ["session_id", "ingested_at"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +87,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    """One row per run: nearest root, depth, path (with path_base), subtree size by primary parent; loops have depth -1."""
+    """One row per run: nearest root, depth, path (with path_base), subtree size by primary parent (p4_descendant_counts: over all parents); loops have depth -1."""
     out = _descents(spark, d)
     near = out["assigned"].groupBy("node").agg(F.min(F.struct("depth", "root", "base", "seg")).alias("m"), F.count("*").cast("int").alias("n_roots"))
     rows = near.join(out["peeled"].select("node", "size"), "node", "left").select(
@@ -94,9 +97,22 @@ def p4_tree(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(loops)
 
 
+def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """One row per run and descendant, over all parents; members of a loop descend from each other, none from itself."""
+    pairs = hierarchy.descendants(_runs(spark, d), Scratch(spark, "descendants"))
+    return pairs.select(F.col("node").alias("run_id"), F.col("descendant").alias("descendant_id"))
+
+
+def p4_descendant_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One row per run with the number of its distinct descendants over all parents, 0 if it has none."""
+    counts = p4_descendants(spark, d).groupBy("run_id").agg(F.count("*").alias("n"))
+    runs = _runs(spark, d).where("node is not null").select(F.col("node").alias("run_id")).distinct()
+    return runs.join(counts, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_descendants"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     claims = flatten.claim_children(read_table(spark, d, "claim_revisions"))
     return claims.unionByName(flatten.bundle_children(read_table(spark, d, "bundles")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_table, p2_found, p3_found, p3_counts, p4_found, p4_tree, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_versions, p1_table, p2_found, p3_found, p3_counts, p4_found, p4_tree, p4_descendants, p4_descendant_counts, p6_found)}
