@@ -298,7 +298,10 @@ def hierarchy(links: DataFrame, scratch, locality: list[str], block_rows: int =
         else:
             knots = scratch.save(_knots_shuffled(knot_n, knot_e, scratch))
         looped = knots.where("looped").select("node", "root")
-        assigned.append(knots.select("node", "root", "depth", F.lit(None).cast("string").alias("base"), F.expr("cast(array() as array<string>)").alias("seg"), "looped"))
+        near = knots.groupBy(F.col("node").alias("parent")).agg(F.min("depth").alias("depth"))
+        via = knot_e.join(near, "parent").groupBy(F.col("child").alias("node")).agg(F.min(F.struct("depth", "parent"))["parent"].alias("base"))
+        via = via.join(looped.select("node"), "node", "left_anti")  # a loop is a root: paths begin at it
+        assigned.append(scratch.save(knots.join(via, "node", "left").select("node", "root", "depth", "base", F.expr("cast(array() as array<string>)").alias("seg"), "looped")))
     if looped is None:
         looped = nodes.limit(0).select("node", F.col("node").alias("root"))
 

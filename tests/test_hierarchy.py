@@ -45,3 +45,19 @@ def test_descendant_counts(spark, tmp_path):
     spark.createDataFrame([(n, p, "s", i) for i, (n, p) in enumerate(links)], "run_id string, parents array<string>, session_id string, ingested_at long").write.parquet(f"{tmp_path}/runs.parquet")
     assert {tuple(x) for x in problems.QUERIES["p4_descendant_counts"](spark, str(tmp_path)).collect()} == {("r", 3), ("x", 1), ("y", 1), ("z", 0)}
     assert problems.QUERIES["p4_descendants"](spark, str(tmp_path)).count() == 5
+
+
+@pytest.mark.parametrize("finish_rows", [150_000, 1])
+def test_path_through_a_chain_that_leads_into_a_loop(spark, finish_rows):
+    links = [("r", []), ("a", ["r"]), ("b", ["a"]), ("l1", ["b", "l2"]), ("l2", ["l1"]), ("m", ["l2"]), ("o", ["m"]), ("p1", ["o", "p2"]), ("p2", ["p1"]), ("leaf", ["b"]), ("leaf2", ["leaf"]), ("below", ["o"])]
+    out = hierarchy.hierarchy(table(spark, links), Scratch(spark, "test"), ["session_id", "ingested_at"], finish_rows=finish_rows)
+    rows = {}
+    for x in sorted(out["assigned"].collect(), key=lambda x: (x["depth"], x["root"])):
+        rows.setdefault(x["node"], x)
+
+    def path(n):
+        x = rows.get(n)
+        return [] if x is None else (path(x["base"]) + [x["base"]] if x["base"] else []) + list(x["seg"])
+
+    assert {n: path(n) for n in rows} == {"r": [], "a": ["r"], "b": ["r", "a"], "m": ["l2"], "o": ["l2", "m"], "leaf": ["r", "a", "b"], "leaf2": ["r", "a", "b", "leaf"], "below": ["l2", "m", "o"]}
+    assert all(len(path(n)) == x["depth"] for n, x in rows.items())
