@@ -76,8 +76,11 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "runs").select(F.col("run_id").alias("node"), "parents", "session_id", "ingested_at")
 
 
+LOCALITY = ["session_id", "ingested_at"]
+
+
 def _descents(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return hierarchy.hierarchy(_runs(spark, d), Scratch(spark, "hierarchy"), ["session_id", "ingested_at"])
+    return hierarchy.hierarchy(_runs(spark, d), Scratch(spark, "hierarchy"), LOCALITY)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,19 +90,21 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_tree(spark: SparkSession, d: str) -> DataFrame:
-    """One row per run: nearest root, depth, path (with path_base), subtree size by primary parent (p4_descendant_counts: over all parents); loops have depth -1."""
-    out = _descents(spark, d)
-    near = out["assigned"].groupBy("node").agg(F.min(F.struct("depth", "root", "base", "seg")).alias("m"), F.count("*").cast("int").alias("n_roots"))
-    rows = near.join(out["peeled"].select("node", "size"), "node", "left").select(
-        F.col("node").alias("run_id"), F.col("m.root").alias("root_id"), F.col("m.depth").alias("depth"), "n_roots", F.col("m.base").alias("path_base"), F.concat_ws(" / ", "m.seg").alias("path"), F.col("size").alias("subtree_size")
+    """One row per run: nearest root, depth, whole path, subtree size by primary parent (p4_descendant_counts: over all parents); loops have depth -1."""
+    scratch = Scratch(spark, "hierarchy")
+    out = hierarchy.hierarchy(_runs(spark, d), scratch, LOCALITY)
+    near = scratch.save(out["assigned"].groupBy("node").agg(F.min(F.struct("depth", "root", "base", "seg")).alias("m"), F.count("*").cast("int").alias("n_roots")))
+    paths = hierarchy.whole_paths(near.select("node", "m.base", "m.seg"), scratch)
+    rows = near.join(paths, "node").join(out["peeled"].select("node", "size"), "node", "left").select(
+        F.col("node").alias("run_id"), F.col("m.root").alias("root_id"), F.col("m.depth").alias("depth"), "n_roots", F.array_join("path", " / ").alias("path"), F.col("size").alias("subtree_size")
     )
-    loops = out["looped"].select(F.col("node").alias("run_id"), F.col("root").alias("root_id"), F.lit(-1).alias("depth"), F.lit(1).alias("n_roots"), F.lit(None).cast("string").alias("path_base"), F.lit("").alias("path"), F.lit(None).cast("bigint").alias("subtree_size"))
+    loops = out["looped"].select(F.col("node").alias("run_id"), F.col("root").alias("root_id"), F.lit(-1).alias("depth"), F.lit(1).alias("n_roots"), F.lit("").alias("path"), F.lit(None).cast("bigint").alias("subtree_size"))
     return rows.unionByName(loops)
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     """One row per run and descendant, over all parents; members of a loop descend from each other, none from itself."""
-    pairs = hierarchy.descendants(_runs(spark, d), Scratch(spark, "descendants"))
+    pairs = hierarchy.descendants(_runs(spark, d), Scratch(spark, "descendants"), LOCALITY)
     return pairs.select(F.col("node").alias("run_id"), F.col("descendant").alias("descendant_id"))
 
 
