@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealwork.operators import drift, flatten, hierarchy, history, orphans
-from sealwork.session import Scratch, iso_micros, micros_ntz, read_table
+from sealwork.session import Scratch, iso_micros, micros, read_table
 
 
 def _profiles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -29,11 +29,11 @@ def p1_table(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     revisions = read_table(spark, d, "claim_revisions").withColumn("us", iso_micros(F.col("recorded_at")))
-    return history.version_history(revisions)
+    return history.version_history(revisions, Scratch(spark, "history"))
 
 
 def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ingested_at)")
+    us = micros("ingested_at")
     month = F.date_format("seen", "yyyy-MM")
     runs = read_table(spark, d, "runs").select("run_id", "parents", "ingested_at")
     claims = read_table(spark, d, "claim_revisions").select("claim_id", F.concat_ws("@", "claim_id", "revision").alias("key"), F.col("cause.run_id").alias("run_id"), "ingested_at")
@@ -54,7 +54,7 @@ def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
         .groupBy("src_table", "src_key").agg(F.min("ingested_at").alias("seen"))
     )
     refs = refs.drop("ingested_at").distinct().join(first, ["src_table", "src_key"])
-    refs = refs.select("src_table", "src_key", "ref_kind", "ref_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', seen)").alias("src_us"), month.alias("period"))
+    refs = refs.select("src_table", "src_key", "ref_kind", "ref_id", micros("seen").alias("src_us"), month.alias("period"))
 
     def kind(df: DataFrame, name: str, key: str) -> DataFrame:
         return df.select(F.lit(name).alias("ref_kind"), F.col(key).alias("ref_id"), us.alias("us"))
@@ -69,7 +69,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_counts(p3_found(spark, d))
+    return orphans.orphan_counts(*_references(spark, d), Scratch(spark, "orphans"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:

@@ -18,10 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests, local use)."""
+    """The folder named by spark.checkpoint.dir; where that is unset a temporary one, which only a session of one machine may use."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="sealwork-")
     spark.conf.set("spark.checkpoint.dir", f"file://{local}")
     return f"file://{local}"
@@ -72,9 +74,9 @@ class Scratch:
                 _delete(self.spark, path)
 
 
-def micros_ntz(col: Column | str) -> Column:
+def micros(col: str) -> Column:
     """Microseconds since 1970 of a zoneless timestamp that means UTC, whatever the session's zone."""
-    return F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {})".format(col)) if isinstance(col, str) else F.unix_micros(col)
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({col} as timestamp_ntz))")
 
 
 def iso_micros(col: Column) -> Column:

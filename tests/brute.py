@@ -33,7 +33,7 @@ def history(rows):
             hit = [d for d in cand if d in named]
             d = hit[0] if hit else max(cand, key=lambda d: (cand[d][0], d))
             picked[r] = (d, cand[d][0])
-            named = {cand[d][1]} if hit else {s for _, s in cand.values()}
+            named = {cand[d][1]}
         versions, before = [], None
         for r in sorted(picked):
             if picked[r][0] != before:
