@@ -14,43 +14,56 @@ from pyspark.sql import functions as F
 from sealwork.constants import ALIAS_TAG_SCHEME
 from sealwork.session import Scratch
 
-#: Rate of the exponential head start, and the number of growing steps of a level (head starts are cut to it).
-RATE = 0.4
-STEPS = 4
+#: Rate of the exponential head start. A level grows as many steps as its largest head start says, about ln(vertices) / RATE.
+RATE = 0.7
+#: Steps planned in one job.
+STEPS_PER_JOB = 4
+#: A vertex with more links than this is spread over several join keys.
+LINKS_PER_SALT = 50_000
 
 # fixed values: alias ids that only say that no id is known
 MEANINGLESS = ("", "-", "--", "?", "n/a", "na", "n.a.", "nan", "nil", "none", "null", "tba", "tbd", "undefined", "unknown", "unspecified", "missing", "not available", "no id", "xxx")
+#: Aliases of zeros only, or without a letter or digit, name nothing.
+NO_ID = r"^0+$|^[^\p{L}\p{N}]*$"
 
 
-def _head_start(v, level: int, rate: float, steps: int):
-    u = (F.pmod(F.xxhash64(v, F.lit(level)), F.lit(1_000_000_007)) + 1) / 1_000_000_008.0
-    return F.least(-F.log(u) / rate, F.lit(steps - 0.001))
+def _head_start(v, level: int, rate: float):
+    u = (F.pmod(F.xxhash64(v, F.lit(level)), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+    return -F.log(u) / rate
 
 
-def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, steps: int = STEPS) -> DataFrame:
+def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, links_per_salt: int = LINKS_PER_SALT) -> DataFrame:
     """(v, root): for every vertex of links(a, b) one vertex of its group, the same for all that are linked directly or through others.
 
     Links are undirected; repeats and links from a vertex to itself are harmless; links with a null end are left out. An empty
     table gives an empty one. Memory per task does not depend on group sizes: steps are joins on a vertex and minima per
-    vertex, with partial aggregation before each shuffle.
+    vertex, with partial aggregation before each shuffle; a vertex of many links is salted on the sending side.
     """
     edges = links.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
     edges = scratch.save(edges)
     levels: list[DataFrame] = []
     while edges.limit(1).count():
-        ends = edges.select("a", "b", F.lit(1).alias("cost")).unionByName(edges.selectExpr("b as a", "a as b", "1 as cost"))
-        # a vertex also sends to itself at no cost, so that each step reads the one before once only
-        sends = scratch.save(ends.unionByName(ends.select("a", F.col("a").alias("b"), F.lit(0).alias("cost")).distinct()))
-        grown = sends.where("cost = 0").select(F.col("a").alias("v"), F.struct(_head_start(F.col("a"), len(levels), rate, steps).alias("reach"), F.col("a").alias("c")).alias("best"))
-        for _ in range(steps):
-            sent = sends.join(grown.withColumnRenamed("v", "a"), "a").where("best.reach >= cost")
-            grown = sent.select(F.col("b").alias("v"), F.struct((F.col("best.reach") - F.col("cost")).alias("reach"), F.col("best.c").alias("c")).alias("best")).groupBy("v").agg(F.max("best").alias("best"))
+        ends = edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).distinct()
+        degrees = ends.groupBy("a").agg(F.count("*").alias("n"))
+        vertices = scratch.save(degrees.select(F.col("a").alias("v"), F.ceil(F.col("n") / links_per_salt).cast("int").alias("salts"), _head_start(F.col("a"), len(levels), rate).alias("start")))
+        wide = F.broadcast(vertices.where("salts > 1").selectExpr("v a", "salts"))  # at most (links / links_per_salt) rows
+        salted = ends.join(wide, "a", "left").select("a", "b", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("b"), F.col("salts"))).otherwise(0).cast("int").alias("salt"))
+        sends = scratch.save(salted)
+        grown = vertices.select("v", "salts", F.struct(F.col("start").alias("reach"), F.col("v").alias("c")).alias("best"))
+        steps = int(vertices.agg(F.max("start")).first()[0])
+        for step in range(steps):
+            # a cluster is handed on as long as its head start lasts; each vertex keeps what reaches it with most left
+            out = grown.where("best.reach >= 1").select(F.col("v").alias("a"), "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            come = sends.join(out, ["a", "salt"]).select(F.col("b").alias("v"), F.lit(None).cast("int").alias("salts"), F.struct((F.col("best.reach") - 1).alias("reach"), F.col("best.c").alias("c")).alias("best"))
+            grown = grown.unionByName(come).groupBy("v").agg(F.max("salts").alias("salts"), F.max("best").alias("best"))
+            if (step + 1) % STEPS_PER_JOB == 0:
+                grown = scratch.save(grown)
         cluster = scratch.save(grown.select("v", F.col("best.c").alias("c")))
         levels.append(cluster)
         inner = edges.join(cluster.selectExpr("v as a", "c as ca"), "a").join(cluster.selectExpr("v as b", "c as cb"), "b")
         inner = inner.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         old, edges = edges, scratch.save(inner)
-        scratch.drop(old, sends)
+        scratch.drop(old, sends, vertices)
     if not levels:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     whole = levels[-1].select("v", F.col("c").alias("root"))
@@ -59,30 +72,39 @@ def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, ste
     return whole
 
 
-def basin_links(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+def basin_links(aliases: DataFrame, meaningless: tuple[str, ...] = MEANINGLESS, no_id: str = NO_ID) -> tuple[DataFrame, DataFrame]:
     """(links between 16-byte vertex keys, basins (v, basin_id)) of the same_as rows that name an id.
 
     A basin and an alias (scheme and id without case and outer blanks) are vertices and each row links the two, so an alias
-    of many basins costs one link per basin and no pairs. In the scheme whose ids are basin ids the alias is that basin.
+    of many basins costs one link per basin and no pairs. In the scheme whose ids are basin ids the alias is that basin: the one
+    written exactly so; else those written so but for case; else a basin of its own, in lower case. Aliases that are in
+    ``meaningless`` or match ``no_id`` link nothing.
     """
-    alias, scheme = F.lower(F.trim("alias_id")), F.lower(F.trim("scheme"))
+    alias, scheme = F.trim("alias_id"), F.lower(F.trim("scheme"))
     rows = aliases.where((F.col("relation") == "same_as") & F.col("basin_id").isNotNull() & scheme.isNotNull() & alias.isNotNull())
-    rows = rows.where(~alias.isin(*MEANINGLESS) & ~alias.rlike("^0+$") & alias.rlike(r"[\p{L}\p{N}]"))
+    rows = rows.where(~F.lower(alias).isin(*meaningless) & ~F.lower(alias).rlike(no_id))
     rows = rows.select("basin_id", scheme.alias("scheme"), alias.alias("alias")).distinct()
-    direct = F.col("scheme") == ALIAS_TAG_SCHEME
     key = lambda *c: F.unhex(F.md5(F.concat_ws("\x1f", *c)))
     basin = lambda c: key(F.lit("basin"), c)
-    links = rows.select(basin(F.col("basin_id")).alias("a"), F.when(direct, basin(F.col("alias"))).otherwise(key(F.lit("alias"), F.col("scheme"), F.col("alias"))).alias("b"))
-    names = rows.select("basin_id").unionByName(rows.where(direct).select(F.col("alias").alias("basin_id"))).distinct()
+    direct = rows.where(F.col("scheme") == ALIAS_TAG_SCHEME)
+    other = rows.where(F.col("scheme") != ALIAS_TAG_SCHEME)
+    spelt = rows.select(F.col("basin_id").alias("to")).distinct().withColumn("lower", F.lower("to"))
+    named = direct.select("alias", F.lower("alias").alias("lower")).distinct().join(spelt, "lower", "left")
+    exact = named.groupBy("alias").agg(F.bool_or(F.col("to") == F.col("alias")).alias("exact"))
+    target = named.join(exact, "alias").where("to = alias or not coalesce(exact, false)").select("alias", F.coalesce("to", "lower").alias("to"))
+    direct = direct.join(target, "alias").select("basin_id", "to")
+    links = other.select(basin(F.col("basin_id")).alias("a"), key(F.lit("alias"), F.col("scheme"), F.lower("alias")).alias("b"))
+    links = links.unionByName(direct.select(basin(F.col("basin_id")).alias("a"), basin(F.col("to")).alias("b")))
+    names = rows.select("basin_id").unionByName(direct.select(F.col("to").alias("basin_id"))).distinct()
     return links, names.select(basin(F.col("basin_id")).alias("v"), "basin_id")
 
 
-def basin_groups(aliases: DataFrame, scratch: Scratch) -> DataFrame:
+def basin_groups(aliases: DataFrame, scratch: Scratch, meaningless: tuple[str, ...] = MEANINGLESS, no_id: str = NO_ID) -> DataFrame:
     """(basin_id, group_id, n): all basins in groups of two or more; group_id is the smallest basin_id of the group.
 
     Rows that are null in relation, basin_id, scheme or alias_id link nothing; repeats count once.
     """
-    links, names = basin_links(aliases)
+    links, names = basin_links(aliases, meaningless, no_id)
     placed = scratch.save(names.join(connected_groups(links, scratch), "v").select("basin_id", "root"))
     heads = placed.groupBy("root").agg(F.min("basin_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return placed.join(heads, "root").select("basin_id", "group_id", "n")

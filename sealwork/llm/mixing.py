@@ -12,12 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealwork.operators.prefix import prefix_sum
+from sealwork.operators.prefix import ranged_prefix_sum
 from sealwork.session import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
-#: Parts into which each source's shuffled order, and the mix's virtual time, are cut for prefix sums.
-PARTS = 1024
 _ENCODERS: dict[str, object] = {}
 _COUNTS: dict[str, int] = {}
 #: Pieces of the tokenizer's pattern never reach from other characters into white space, so a text may be cut before every run
@@ -91,14 +89,10 @@ def fair_mix(counts: DataFrame, targets: list[tuple[str, float, int]], scratch:
         budget = int(min((most[s] * supply[s] / weight[s] for s in supply), default=0))
     rounds = {s: max(1, min(most[s], -(-int(budget * weight[s] + 1) // supply[s]))) for s in supply}
     plan = spark.createDataFrame([(s, weight[s], supply[s], rounds[s]) for s in supply], "source string, weight double, supply bigint, rounds int")
-    h = F.xxhash64(F.lit(seed), "doc_id")
-    rows = own.join(F.broadcast(plan), "source").withColumn("h", h).withColumn("part", F.pmod(F.shiftright("h", 40), F.lit(PARTS)).cast("int"))
-    rows = prefix_sum(rows, ["source"], ["h", "doc_id"], "n_tokens", "upto", "part")
+    rows = own.join(F.broadcast(plan), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    rows = ranged_prefix_sum(rows, ["source"], ["h", "doc_id"], "n_tokens", "upto", scratch)
     copies = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("rounds")))).withColumn("finish_time", ((F.col("copy_no") - 1) * F.col("supply") + F.col("upto")) / F.col("weight"))
-    # virtual time runs to the budget; a little beyond it stands what the last documents of the sources overlap
-    copies = copies.withColumn("all", F.lit(0)).withColumn("slot", F.least(F.floor(F.col("finish_time") * PARTS / max(budget, 1)), F.lit(4 * PARTS)).cast("int"))
-    copies = copies.where(F.col("slot") < 4 * PARTS) if len(supply) == len(names) and budget and all(most[s] * supply[s] >= weight[s] * budget for s in supply) else copies
-    timed = prefix_sum(copies, ["all"], ["finish_time", "source", "doc_id", "copy_no"], "n_tokens", "end_tokens", "slot")
+    timed = ranged_prefix_sum(copies, [], ["finish_time", "source", "doc_id", "copy_no"], "n_tokens", "end_tokens", scratch)
     mix = timed.where(F.col("end_tokens") <= budget).select("doc_id", "source", "copy_no", "n_tokens", "finish_time", "end_tokens")
     mix = scratch.save(mix)
     used = mix.groupBy("source").agg(F.sum("n_tokens").alias("mix_tokens"), F.max("copy_no").alias("most_used"), F.count("*").alias("n_used"))
