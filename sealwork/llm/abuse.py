@@ -1,7 +1,7 @@
 """Abusive text in documents (problem 9): a convolutional classifier in numpy.
 
 Text is undone of disguises (letters of other scripts, leet, spaced or repeated letters, escapes) and cut into words. A word is
-the mean of hashed embeddings of itself and its letter groups; filters over three words in a row, their largest value
+the mean of hashed embeddings of itself and its letter groups; filters over one to four words in a row, their largest value
 over the whole text and a logistic layer give the score. It is fitted on a bounded sample of doc_labels; scores are for whole texts.
 """
 
@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The sample: at most so many labelled documents, by hash of doc_id; texts longer than SAMPLE_CHARS are scored but not learned from.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 5000
 SAMPLE_CHARS = 100_000
-HASHED, GRAMS, DIM, FILTERS, WIDTH = 1 << 15, 12, 24, 48, 3
-STEPS, BATCH_DOCS, FOLDS = 900, 48, 3
+HASHED, GRAMS, DIM = 1 << 15, 12, 24
+#: Filters of each width, narrow ones first: filter f looks at 1 + f // OF_WIDTH words in a row.
+WIDTH, OF_WIDTH = 4, 12
+FILTERS = WIDTH * OF_WIDTH
+STEPS, BATCH_DOCS, FOLDS = 1000, 48, 2
 #: A language has a threshold of its own from so many positive labels on; others share one.
 LANGUAGE_POSITIVES = 25
 #: Places of a text over which filters are laid at once, and words a task keeps.
@@ -118,9 +121,14 @@ class Model:
         return [self.table, self.conv, self.conv_bias, self.out, self.out_bias]
 
 
+def _mask() -> np.ndarray:
+    """1 where a filter is wide enough for the tap of a row of conv."""
+    return np.repeat(np.arange(WIDTH)[:, None] <= np.arange(FILTERS) // OF_WIDTH, DIM, axis=0).astype("float32")
+
+
 def start(seed: int) -> Model:
     r = np.random.default_rng(seed)
-    return Model(*(x.astype("float32") for x in (r.normal(0, 0.3, (HASHED, DIM)), r.normal(0, 0.25, (WIDTH * DIM, FILTERS)), np.zeros(FILTERS), r.normal(0, 0.2, FILTERS), np.full(1, -2.0))))
+    return Model(*(x.astype("float32") for x in (r.normal(0, 0.3, (HASHED, DIM)), r.normal(0, 0.25, (WIDTH * DIM, FILTERS)) * _mask(), np.zeros(FILTERS), r.normal(0, 0.2, FILTERS), np.full(1, -2.0))))
 
 
 class Encoder:
@@ -147,6 +155,19 @@ def _vectors(m: Model, feats: np.ndarray) -> np.ndarray:
     return np.einsum("vg,vgd->vd", there, m.table[feats]) / there.sum(axis=1, keepdims=True)
 
 
+def _activations(m: Model, taps: list[np.ndarray], words: np.ndarray, n: int) -> np.ndarray:
+    act = taps[0][words[:n]]
+    for k in range(1, WIDTH):
+        act[:, k * OF_WIDTH :] += taps[k][words[k : k + n]]
+    act += m.conv_bias
+    return act
+
+
+def _taps(m: Model, vec: np.ndarray) -> list[np.ndarray]:
+    """What each word adds to the filters that are wide enough, by place in the filter."""
+    return [vec @ m.conv[k * DIM : (k + 1) * DIM, k * OF_WIDTH :] for k in range(WIDTH)]
+
+
 def _forward(m: Model, docs: list[np.ndarray], feats: np.ndarray) -> tuple:
     """Logits of docs (word numbers into feats); a text is framed by WIDTH - 1 empty words on either side."""
     blank = len(feats)
@@ -154,9 +175,7 @@ def _forward(m: Model, docs: list[np.ndarray], feats: np.ndarray) -> tuple:
     words = np.concatenate([x for d in docs for x in (gap, d)] + [gap])
     first = np.cumsum([0] + [len(d) + WIDTH - 1 for d in docs])[:-1]
     vec = np.concatenate([_vectors(m, feats), np.zeros((1, DIM), "float32")])
-    taps = [vec @ m.conv[k * DIM : (k + 1) * DIM] for k in range(WIDTH)]
-    n = len(words) - WIDTH + 1
-    act = sum(taps[k][words[k : k + n]] for k in range(WIDTH)) + m.conv_bias
+    act = _activations(m, _taps(m, vec), words, len(words) - WIDTH + 1)
     top = np.maximum.reduceat(act, first, axis=0)
     pooled = np.maximum(top, 0)
     return pooled @ m.out + m.out_bias, pooled, act, top, words, first, vec
@@ -169,7 +188,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, feats: np.ndarray, seed: int
     compact = np.where(feats >= 0, np.searchsorted(held, np.maximum(feats, 0)), -1)
     m = Model(full.table[held], full.conv, full.conv_bias, full.out, full.out_bias)
     mean, square = [np.zeros_like(p) for p in m.parts()], [np.zeros_like(p) for p in m.parts()]
-    order = np.zeros(0, int)
+    order, mask = np.zeros(0, int), _mask()
     for step in range(1, steps + 1):
         if len(order) < min(BATCH_DOCS, len(docs)):
             order = rng.permutation(len(docs))
@@ -196,7 +215,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, feats: np.ndarray, seed: int
         rows, touched = np.nonzero(there)
         g_table = np.zeros_like(m.table)
         np.add.at(g_table, f[rows, touched], (g_vec[:-1] / there.sum(axis=1)[:, None]).astype("float32")[rows])
-        grads = [g_table, g_conv + 1e-4 * m.conv, g_pool.sum(axis=0), (pooled * drop).T @ g + 1e-3 * m.out, g.sum(keepdims=True)]
+        grads = [g_table, g_conv * mask + 1e-4 * m.conv, g_pool.sum(axis=0), (pooled * drop).T @ g + 1e-3 * m.out, g.sum(keepdims=True)]
         for j, (p, d) in enumerate(zip(m.parts(), grads)):
             mean[j] = 0.9 * mean[j] + 0.1 * d
             square[j] = 0.999 * square[j] + 0.001 * d * d
@@ -208,14 +227,14 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, feats: np.ndarray, seed: int
 def logits(m: Model, docs: list[np.ndarray], feats: np.ndarray) -> np.ndarray:
     """Logits over whole texts of any length."""
     vec = np.concatenate([_vectors(m, feats), np.zeros((1, DIM), "float32")])
-    taps = [vec @ m.conv[k * DIM : (k + 1) * DIM] for k in range(WIDTH)]
+    taps = _taps(m, vec)
     gap = np.full(WIDTH - 1, len(feats), "int32")
     words = np.concatenate([x for d in docs for x in (gap, d)] + [gap])
     owner = np.repeat(np.arange(len(docs)), [len(d) + WIDTH - 1 for d in docs])
     top = np.full((len(docs), FILTERS), -np.inf, "float32")
     for s in range(0, len(owner), PLACES):
         mine = owner[s : s + PLACES]
-        act = sum(taps[k][words[s + k : s + k + len(mine)]] for k in range(WIDTH)) + m.conv_bias
+        act = _activations(m, taps, words[s:], len(mine))
         first = np.flatnonzero(np.diff(mine, prepend=-1))
         top[mine[first]] = np.maximum(top[mine[first]], np.maximum.reduceat(act, first, axis=0))
     return np.maximum(top, 0) @ m.out + m.out_bias

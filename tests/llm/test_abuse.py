@@ -3,23 +3,26 @@
 import datetime
 
 import numpy as np
-import pytest
-from pyspark.sql import SparkSession
 
 from sealwork.llm import abuse
 from sealwork.llm.queries import QUERIES
 
 
-@pytest.fixture(scope="module")
-def spark():
-    return SparkSession.builder.master("local[2]").config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2").getOrCreate()
-
-
 def test_disguises():
     for text in ("you stupid clown", "y0u stup1d cl0wn", "you stu​pid c l o w n", "you_stupid_clown", "you stuuupid\n# CLOWN", "yоu stuрid clоwn"):
         assert abuse.words_of(text) == ["you", "stupid", "clown"], text
 
 
+def test_filters_of_several_widths():
+    m = abuse.start(1)
+    tap = np.abs(m.conv.reshape(abuse.WIDTH, abuse.DIM, abuse.FILTERS)).sum(axis=1) > 0
+    assert (tap.sum(axis=0) == 1 + np.arange(abuse.FILTERS) // abuse.OF_WIDTH).all()
+    enc = abuse.Encoder()
+    docs = [enc.encode(t) for t in ("you stupid clown", "note the mask", "read a file")]
+    trained = abuse.fit(docs, np.array([1, 0, 0], "float32"), np.array(enc.rows), steps=20)
+    assert ((np.abs(trained.conv.reshape(abuse.WIDTH, abuse.DIM, abuse.FILTERS)).sum(axis=1) > 0) == tap).all()
+
+
 def test_long_text_scores_as_its_whole():
     enc = abuse.Encoder()
     long = enc.encode("abcd efgh " * 40_000 + "rare words here")
