@@ -15,7 +15,7 @@ from sealwork.constants import ALIAS_TAG_SCHEME
 from sealwork.session import Scratch
 
 #: Rate of the exponential head start. A level grows as many steps as its largest head start says, about ln(vertices) / RATE.
-RATE = 0.7
+RATE = 0.9
 #: Steps planned in one job.
 STEPS_PER_JOB = 4
 #: A vertex with more links than this is spread over several join keys.
@@ -47,17 +47,19 @@ def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, lin
         degrees = ends.groupBy("a").agg(F.count("*").alias("n"))
         vertices = scratch.save(degrees.select(F.col("a").alias("v"), F.ceil(F.col("n") / links_per_salt).cast("int").alias("salts"), _head_start(F.col("a"), len(levels), rate).alias("start")))
         wide = F.broadcast(vertices.where("salts > 1").selectExpr("v a", "salts"))  # at most (links / links_per_salt) rows
-        salted = ends.join(wide, "a", "left").select("a", "b", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("b"), F.col("salts"))).otherwise(0).cast("int").alias("salt"))
-        sends = scratch.save(salted)
+        salted = ends.join(wide, "a", "left").select("a", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("b"), F.col("salts"))).otherwise(0).cast("int").alias("salt"), "b", F.lit(1).alias("cost"), F.lit(None).cast("int").alias("salts"))
+        # a vertex also sends to itself at no cost, so that each step reads the one before once only
+        sends = scratch.save(salted.unionByName(vertices.select(F.col("v").alias("a"), F.lit(0).alias("salt"), F.col("v").alias("b"), F.lit(0).alias("cost"), "salts")))
         grown = vertices.select("v", "salts", F.struct(F.col("start").alias("reach"), F.col("v").alias("c")).alias("best"))
         steps = int(vertices.agg(F.max("start")).first()[0])
         for step in range(steps):
             # a cluster is handed on as long as its head start lasts; each vertex keeps what reaches it with most left
-            out = grown.where("best.reach >= 1").select(F.col("v").alias("a"), "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-            come = sends.join(out, ["a", "salt"]).select(F.col("b").alias("v"), F.lit(None).cast("int").alias("salts"), F.struct((F.col("best.reach") - 1).alias("reach"), F.col("best.c").alias("c")).alias("best"))
-            grown = grown.unionByName(come).groupBy("v").agg(F.max("salts").alias("salts"), F.max("best").alias("best"))
-            if (step + 1) % STEPS_PER_JOB == 0:
-                grown = scratch.save(grown)
+            out = grown.select(F.col("v").alias("a"), "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            sent = sends.join(out, ["a", "salt"]).where("best.reach >= cost")
+            grown = sent.select(F.col("b").alias("v"), "salts", F.struct((F.col("best.reach") - F.col("cost")).alias("reach"), F.col("best.c").alias("c")).alias("best")).groupBy("v").agg(F.max("salts").alias("salts"), F.max("best").alias("best"))
+            if (step + 1) % STEPS_PER_JOB == 0 and step + 1 < steps:
+                old, grown = grown, scratch.save(grown)
+                scratch.drop(old)
         cluster = scratch.save(grown.select("v", F.col("best.c").alias("c")))
         levels.append(cluster)
         inner = edges.join(cluster.selectExpr("v as a", "c as ca"), "a").join(cluster.selectExpr("v as b", "c as cb"), "b")
