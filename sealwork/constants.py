@@ -1,29 +1,41 @@
-"""Tags and vocabularies of the data formats, which must equal those in the data because they are hashed or matched."""
+"""Tags, vocabularies, tables and thresholds that must equal those of the data formats, because they are hashed or matched."""
 
 # fixed values: wire-format tags
 RUN_TAG = "aihydro.run/2"
 CLAIM_TAG = "aihydro.claim_revision_record/1"
 BUNDLE_TAG = "aihydro.bundle/1"
-C14N_TAG = "aihydro.c14n/1"
 GEOMETRY_TAG = "aihydro.geom/1"
 ANCHOR_TAG = "aihydro.basin_anchor/1"
 BASIN_PREFIX = "aihydro:basin:"
 ALIAS_TAG_SCHEME = "aihydro"
+CRATE_FILE = "ro-crate-metadata.json"
+BAG_FILE = "manifest-sha256.txt"
+SPDX_BASE = "https://spdx.org/licenses/"
 
 # fixed values: vocabularies
 RUN_STATUSES = ("ok", "error", "refused")
 ACTOR_KINDS = ("human", "agent", "package", "system")
-REPLAY_LEVELS = ("archive_integrity", "claim_recomputation", "pipeline_replay", "external_reacquisition", "cross_engine")
+ALIAS_RELATIONS = ("same_as", "located_at", "derived_from", "fallback_of")
+RECORD_KINDS = ("run", "claim_revision", "approval", "basin_ref", "claim_view")
+UNSEALED_KINDS = ("claim_view",)
+GATE_OUTCOMES = ("refused", "error")
+REPLAY_RANKS = {"not_performed": 0, "archive_integrity": 1, "cross_check": 2, "recomputed": 3, "independently_reproduced": 4}
+RUN_ROW_KEYS = ("run_log_rows", "sealed", "legacy_no_record", "unbound", "unsealable", "withheld_for_privacy")
+HEAD_FIELDS = ("text", "claim_type", "status", "confidence", "confidence_rationale", "limitations")
+ENUM_HEAD_FIELDS = ("claim_type", "status", "confidence")
+SCRUB_MARKERS = ("<abs>", "~/", "workspace:", "session-data:")
+ACTION_TYPES = ("CreateAction", "AssessAction", "UpdateAction", "ActivateAction")
+CLAIM_BASES = ("sealed_revision", "working_view_unsealed")
 
-# fixed values: members of a run record and of a claim revision record
-RUN_MEMBERS = (
-    "schema", "canonicalization", "run_id", "tool", "tool_version", "version_source", "session_id", "recorded_at", "status",
-    "input_digest", "input_refs", "output_digest", "parents", "env_digest", "actor", "error", "record_digest",
-)
-CLAIM_MEMBERS = (
-    "schema", "canonicalization", "session_id", "claim_id", "revision", "supersedes", "revision_digest", "content", "cause",
-    "actor", "recorded_at", "record_digest",
-)
+# fixed values: top-level folders of local paths
+LOCAL_ROOTS = ("Users", "home", "private", "var", "tmp", "opt", "root", "mnt", "Volumes", "srv", "scratch", "etc")
+
+# fixed values: media types by extension
+MEDIA_TYPES = {
+    ".json": "application/json", ".csv": "text/csv", ".md": "text/markdown", ".py": "text/x-python", ".txt": "text/plain",
+    ".yml": "application/yaml", ".yaml": "application/yaml", ".bib": "application/x-bibtex", ".png": "image/png", ".svg": "image/svg+xml",
+    ".geojson": "application/geo+json", ".nc": "application/x-netcdf",
+}
 
 # fixed values: thresholds of the statistics
 LOW_N_GROUPS = 30

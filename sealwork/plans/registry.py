@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sealwork.plans import problems
+from sealwork.plans import evidence, problems
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return evidence.QUERIES | problems.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return evidence.ORACLES | problems.ORACLES
