@@ -1,8 +1,9 @@
 """Schemas that drift between files (problem 1).
 
 Each file gets a profile: for every field its type and the kind of its values. A file's fingerprint is the hash of its
-(field, type) pairs. Files of a stream are compared with the one just before; the changes are the migration steps
-(rename, default for what was added or removed, cast for what was retyped) through which every line is routed into one table.
+(field, type) pairs; runs of files with one fingerprint are a version. Where the fingerprint changes, the two profiles are compared;
+the changes are the migration steps (rename, default for what came or went, cast for what was retyped) through which every
+line is routed into one table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 
 LINES_PER_PART = 256
 VOCABULARY_BUCKETS = 64
+#: Shapes of long text are told by so many hashes, which bounds a file's profile.
+SHAPE_BUCKETS = 1024
+LONG_SHAPE = 40
 SAME_KIND = 0.3
 
 _HEX = re.compile(r"[0-9a-f]{16,}")
@@ -51,27 +55,34 @@ def kind_tokens(v: object) -> list[str]:
         size = "unit" if isinstance(v, float) and a < 1 else "small" if a < 10 else "medium" if a < 100 else "large"
         return [("neg " if v < 0 else "pos ") + size]
     if isinstance(v, str):
-        shape = _LETTERS.sub("a", _DIGITS.sub("9", _HEX.sub("#", v)))[:200]
-        shape = _AGAIN.sub(r"\1\1", shape)[:40]
-        word = f"word {zlib.crc32(v.encode()) % VOCABULARY_BUCKETS}" if shape == "a" else ""
-        return [word or "text " + shape]
+        shape = _AGAIN.sub(r"\1\1", _LETTERS.sub("a", _DIGITS.sub("9", _HEX.sub("#", v))))
+        if len(shape) > LONG_SHAPE:  # of long text, which characters its whole shape is made of
+            shape = "long " + "".join(sorted(set(shape)))
+        if len(shape) > 8:
+            shape = f"shape {zlib.crc32(shape.encode("utf-8", "replace")) % SHAPE_BUCKETS}"
+        word = f"word {zlib.crc32(v.encode("utf-8", "replace")) % VOCABULARY_BUCKETS}" if shape == "a" else ""
+        return [word or "text " + (shape if shape.isascii() else encodable(shape))]
     if isinstance(v, list):
         return ["in " + t for x in v for t in kind_tokens(x)] or ["in nothing"]
-    return ["members " + ",".join(sorted(map(str, v)))[:200]]
+    return [f"members {zlib.crc32(','.join(sorted(map(str, v))).encode('utf-8', 'replace')) % SHAPE_BUCKETS}"]
 
 
 def fields_of(payload: str | None) -> dict[str, object] | None:
-    """Members of a line, those of extra as extra.name; None if the line is no JSON object."""
+    """Members of a line, those of extra as extra.name; None if the line is no JSON object. A lone surrogate in a name is written as its escape."""
     try:
         v = json.loads(payload) if payload else None
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     if not isinstance(v, dict):
         return None
     out = {k: x for k, x in v.items() if k != "extra" and x is not None}
     if isinstance(v.get("extra"), dict):
         out |= {f"extra.{k}": x for k, x in v["extra"].items() if x is not None}
-    return out
+    return out if all(map(str.isascii, out)) else {encodable(k): x for k, x in out.items()}
+
+
+def encodable(s: str) -> str:
+    return s.encode("utf-8", "backslashreplace").decode("utf-8")
 
 
 def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,7 +112,7 @@ def lines(raw: DataFrame) -> DataFrame:
 def file_profiles(raw: DataFrame) -> DataFrame:
     """(stream, file_id, seq, written_at, profile, fingerprint): one row per file, in the order of written_at.
 
-    profile is an array of (field, type, tokens). The type is that of most values; ties go to the first name.
+    profile is an array of (field, type, tokens, types). The type is that of most values; ties go to the first name.
     Only file rows are windowed by stream, lines never.
     """
     own = lines(raw)
@@ -115,7 +126,7 @@ def file_profiles(raw: DataFrame) -> DataFrame:
     )
     best = by_type.groupBy("stream", "file_id", "field").agg(F.min(F.struct(-F.col("n"), "type")).alias("m"), F.collect_list(F.struct("type", "tokens")).alias("all"))
     profile = best.groupBy("stream", "file_id").agg(
-        F.array_sort(F.collect_list(F.struct("field", F.col("m.type").alias("type"), F.to_json(F.expr("filter(all, x -> x.type = m.type)[0].tokens")).alias("tokens")))).alias("profile")
+        F.array_sort(F.collect_list(F.struct("field", F.col("m.type").alias("type"), F.to_json(F.expr("filter(all, x -> x.type = m.type)[0].tokens")).alias("tokens"), F.array_sort(F.transform("all", lambda x: x["type"])).alias("types")))).alias("profile")
     )
     order = W.partitionBy("stream").orderBy("written_at", "file_id")
     files = raw.where("stream is not null and file_id is not null").groupBy("stream", "file_id").agg(F.min("written_at").alias("written_at"))
@@ -192,83 +203,112 @@ def schema_changes(profiles: DataFrame) -> DataFrame:
 
     Fields are told apart by exact name. A file without readable lines has no fields, so all end there and begin again after it.
     """
-    before = profiles.select("stream", (F.col("seq") + 1).alias("seq"), F.col("profile").alias("before"))
-    return profiles.select("stream", "file_id", "seq", "profile").join(before, ["stream", "seq"]).mapInPandas(
+    before = profiles.select("stream", (F.col("seq") + 1).alias("seq"), F.col("profile").alias("before"), F.col("fingerprint").alias("was"))
+    changed = profiles.select("stream", "file_id", "seq", "profile", "fingerprint").join(before, ["stream", "seq"]).where("not (was <=> fingerprint)")
+    return changed.select("stream", "file_id", "seq", "before", "profile").mapInPandas(
         _compare, "stream string, file_id string, seq int, change string, field string, detail string"
     )
 
 
-def _lineages(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Names of each file's fields in the newest schema: renames are chained in file order."""
-    rows, later = [], {}
-    for seq, part in sorted(pdf.groupby("seq"), reverse=True):
-        for old, new in zip(part["field"], part["detail"]):
-            rows.append((pdf["stream"].iloc[0], seq, old, later.get(new, new)))
-        later |= {old: later.get(new, new) for old, new in zip(part["field"], part["detail"])}
-    return pd.DataFrame(rows, columns=["stream", "seq", "field", "final"])
+def migration_steps(changes: DataFrame) -> DataFrame:
+    """(stream, file_id, seq, step, field, target, type): how rows of the file before become rows of this file's schema.
+
+    rename: field to target; cast: field to type; default: a field that came (older rows get null) or went (newer rows get null).
+    """
+    step = F.when(F.col("change") == "renamed", "rename").when(F.col("change") == "retyped", "cast").otherwise("default")
+    return changes.select(
+        "stream", "file_id", "seq", step.alias("step"), "field", F.when(F.col("change") == "renamed", F.col("detail")).otherwise(F.col("field")).alias("target"), F.when(F.col("change") == "retyped", F.col("detail")).alias("type")
+    )
+
+
+def _epochs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each stretch of files between two renames of a stream the newest name of every field renamed later, as JSON.
+
+    One row per stretch: epoch counts the files with renames up to and including a file. Steps are metadata, one row per rename.
+    """
+    later: dict[str, str] = {}
+    parts = sorted(pdf.groupby("seq"), reverse=True)
+    rows = [(len(parts), "{}")]
+    for i, (_, part) in enumerate(parts):
+        step = dict(zip(part["field"], part["target"]))
+        # a name that is taken over in this file is another field before it
+        later = {k: v for k, v in later.items() if k not in step.values()} | {old: later.get(new, new) for old, new in step.items()}
+        rows.append((len(parts) - 1 - i, json.dumps(later)))
+    return pd.DataFrame([(pdf["stream"].iloc[0], e, m) for e, m in rows], columns=["stream", "epoch", "names"])
 
 
 def _cast(v: object, kind: str) -> object:
+    """A value in the type that holds all values of its field; nothing is lost: mixed fields are text, single values of arrays stand alone in one."""
     if v is None or type_name(v) == kind:
         return v
     if kind == "array":
         return [v]
-    while isinstance(v, (list, dict)) and kind not in ("object",):
-        inner = list(v.values())[:1] if isinstance(v, dict) else v[:1]
-        if not inner or (isinstance(v, list) and len(v) > 1):
-            return json.dumps(v, sort_keys=True) if kind == "string" else None
-        v = v["value"] if isinstance(v, dict) and "value" in v else inner[0]
-    try:
-        if kind == "string":
-            return v if isinstance(v, str) else json.dumps(v)
-        if kind == "integer":
-            return int(float(v)) if not isinstance(v, bool) else int(v)
-        if kind == "fractional":
-            return float(v)
-        if kind == "boolean":
-            return {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}.get(str(v).strip().lower())
-    except (TypeError, ValueError):
-        return None
-    return {"value": v}
+    if kind == "fractional" and type_name(v) == "integer":
+        return float(v) if abs(v) <= 2**53 else v
+    return json.dumps(v, sort_keys=True)
 
 
 KNOWN = ("schema", "recorded_at", "run_id", "claim_id", "revision", "session_id", "status", "tool", "tool_version", "parents", "content", "cause", "supersedes", "actor_id", "env_digest")
 
 
+def _text(v: object) -> str | None:
+    return None if v is None else encodable(v) if isinstance(v, str) else json.dumps(v, sort_keys=True)
+
+
 def _route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    routes: dict[tuple, tuple[dict, dict]] = {}
     for pdf in batches:
         rows = []
-        for s, f, seq, no, payload, steps, kinds in zip(pdf["stream"], pdf["file_id"], pdf["seq"], pdf["line_no"], pdf["payload"], pdf["steps"], pdf["kinds"]):
+        for s, f, seq, no, payload, names_text, kinds_text in zip(pdf["stream"], pdf["file_id"], pdf["seq"], pdf["line_no"], pdf["payload"], pdf["names"], pdf["kinds"]):
             own = fields_of(payload)
-            names, types = json.loads(steps or "{}"), json.loads(kinds or "{}")
+            if (names_text, kinds_text) not in routes:
+                routes.clear()
+                routes[names_text, kinds_text] = json.loads(names_text or "{}"), json.loads(kinds_text or "{}")
+            names, types = routes[names_text, kinds_text]
             out: dict[str, object] = {}
-            for k, v in (own or {}).items():
-                k = names.get(k, k)
-                out[k] = _cast(v, types[k]) if k in types else v
-            known = [v if isinstance(v := out.pop(k, None), str) or v is None else json.dumps(v, sort_keys=True) for k in KNOWN]
-            rows.append((s, f, seq, no, own is not None, *known, json.dumps(out, sort_keys=True)))
-        yield pd.DataFrame(rows, columns=["stream", "file_id", "seq", "line_no", "readable", *KNOWN, "unknown"])
+            cast, clash = [], []
+            for k, v in sorted((own or {}).items(), key=lambda kv: (kv[0] in names, kv[0])):
+                new = names.get(k, k)
+                if new in out:  # an older field beside one that has its name: the one that bears the name counts, the other keeps its own
+                    clash.append(k)
+                    new = k
+                out[new] = _cast(v, types[new]) if new in types else v
+                if new in types and type_name(v) != types[new]:
+                    cast.append(new)
+            known = [_text(out.pop(k, None)) for k in KNOWN]
+            rows.append((s, f, seq, no, own is not None, *known, json.dumps(out, sort_keys=True), sorted(cast), clash))
+        yield pd.DataFrame(rows, columns=["stream", "file_id", "seq", "line_no", "readable", *KNOWN, "unknown", "casts", "clashes"])
+
+
+def widest_types(named: DataFrame) -> DataFrame:
+    """(stream, name, type) that holds all values of (stream, name, type): fractional over integer, array over single values, else text."""
+    of = F.array_sort(F.collect_set("type"))
+    numbers = F.array(F.lit("fractional"), F.lit("integer"))
+    wide = F.when(F.size("of") == 1, F.col("of")[0]).when(F.col("of") == numbers, "fractional").when(F.array_contains("of", "array"), "array").otherwise("string")
+    return named.groupBy("stream", "name").agg(of.alias("of")).select("stream", "name", wide.alias("type"))
 
 
 def consistent_table(raw: DataFrame, profiles: DataFrame, changes: DataFrame) -> DataFrame:
     """Every distinct line under the newest names and types of its stream.
 
-    A line's fields are renamed along the chain of later renames and cast to the last type their name had; absent fields are
-    null; what a cast cannot read is null. Unreadable lines stay with readable = false. Known fields are columns of text
-    (JSON for arrays and objects), all others members of ``unknown``.
+    A line's fields are renamed along the chain of later renames and cast to the type that holds all values of the name in its
+    stream, so no cast fails or loses a value (casts lists the fields that were cast); absent fields are null. If two fields of
+    a line come to one name, the field that bears it counts and the other keeps its own name (clashes). Unreadable lines stay with
+    readable = false. Known fields are columns of text (JSON for arrays and objects), all others members of ``unknown``.
     """
-    renames = changes.where("change = 'renamed'").select("stream", "seq", "field", "detail")
-    chain = renames.groupBy("stream").applyInPandas(_lineages, "stream string, seq int, field string, final string")
-    files = profiles.select("stream", "file_id", "seq")
-    steps = files.join(chain.withColumnRenamed("seq", "until"), "stream").where("seq < until")
-    steps = steps.groupBy("stream", "file_id", "field").agg(F.min_by("final", "until").alias("final"))
-    steps = steps.groupBy("stream", "file_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "final")))).alias("steps"))
-    types = profiles.select("stream", "seq", F.explode("profile").alias("p")).groupBy("stream", F.col("p.field").alias("field")).agg(F.max_by("p.type", "seq").alias("type"))
-    types = types.groupBy("stream").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("field", "type")))).alias("kinds"))
-    routes = files.join(steps, ["stream", "file_id"], "left").join(types, "stream", "left")
+    renames = migration_steps(changes).where("step = 'rename'")
+    chain = renames.groupBy("stream").applyInPandas(_epochs, "stream string, epoch int, names string")
+    at = renames.select("stream", "seq").distinct().withColumn("_r", F.lit(1))
+    files = profiles.select("stream", "file_id", "seq", "profile").join(at, ["stream", "seq"], "left")
+    files = files.withColumn("epoch", F.coalesce(F.sum("_r").over(W.partitionBy("stream").orderBy("seq")), F.lit(0)).cast("int"))
+    files = files.join(chain, ["stream", "epoch"], "left").select("stream", "file_id", "seq", "profile", F.coalesce("names", F.lit("{}")).alias("names"))
+    own = files.select("stream", F.from_json("names", "map<string,string>").alias("m"), F.explode("profile").alias("p"))
+    named = own.select("stream", F.coalesce(F.try_element_at("m", F.col("p.field")), F.col("p.field")).alias("name"), F.explode("p.types").alias("type"))
+    types = widest_types(named).groupBy("stream").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("name", "type")))).alias("kinds"))
+    routes = files.drop("profile").join(types, "stream", "left")
     known = ", ".join(f"`{k}` string" for k in KNOWN)
-    return lines(raw).join(routes, ["stream", "file_id"]).select("stream", "file_id", "seq", "line_no", "payload", "steps", "kinds").mapInPandas(
-        _route, f"stream string, file_id string, seq int, line_no int, readable boolean, {known}, unknown string"
+    return lines(raw).join(routes, ["stream", "file_id"]).select("stream", "file_id", "seq", "line_no", "payload", "names", "kinds").mapInPandas(
+        _route, f"stream string, file_id string, seq int, line_no int, readable boolean, {known}, unknown string, casts array<string>, clashes array<string>"
     )
 
 

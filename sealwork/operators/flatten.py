@@ -105,3 +105,82 @@ def bundle_children(bundles: DataFrame) -> DataFrame:
     )
     src = one_per_record(slim, "record_digest", ["objects", "records"])
     return src.mapInArrow(flat_children("bundles", {"objects": ("objects", "ref", ""), "records": ("records", "id", "")}), CHILD_SCHEMA)
+
+
+# ---------------------------------------------------------------- whole child tables
+
+
+def flat_table(df: DataFrame, parent: str, column: str, members: list[str], inner: str | None = None, inner_members: list[str] | None = None) -> DataFrame:
+    """A child table of a list-of-structs column: parent, pos and the members; with ``inner`` a table of that member's elements instead.
+
+    Rows of inner lists have parent, parent_pos, pos and inner_members. Lists are taken apart on Arrow buffers, members keep their
+    types. Null elements are no rows but keep their place; null lists have none. Names of members must differ from parent and pos.
+    """
+    element = df.schema[column].dataType.elementType
+    if inner:
+        element = element[inner].dataType.elementType
+    wanted = inner_members if inner else members
+    kinds = [f"`{m}` {element[m].dataType.simpleString()}" for m in wanted]
+    head = [f"`{parent}` {df.schema[parent].dataType.simpleString()}", *(["parent_pos int"] if inner else []), "pos int"]
+    names = [parent, *(["parent_pos"] if inner else []), "pos", *wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner = b.column(parent)
+            index, place, values = child_rows(owner, b.column(column))
+            if not len(values):
+                continue
+            if inner:
+                up, spot, values = child_rows(index, pc.struct_field(values, inner))
+                if not len(values):
+                    continue
+                lead = [owner.take(index.take(up)), place.take(up).cast(pa.int32()), spot.cast(pa.int32())]
+            else:
+                lead = [owner.take(index), place.cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays([*lead, *(pc.struct_field(values, m) for m in wanted)], names=names).filter(pc.is_valid(values))
+
+    return df.select(parent, column).mapInArrow(run, ", ".join([*head, *kinds]))
+
+
+def _rest(text: Column, known: list[str]) -> Column:
+    """JSON of the members of an object that have no column, null if there are none."""
+    others = F.map_filter(F.from_json(text, "map<string,string>"), lambda k, _: ~k.isin(*known))
+    return F.when(F.size(others) > 0, F.to_json(others))
+
+
+def claim_tables(claims: DataFrame) -> dict[str, DataFrame]:
+    """spans, checks and basins of claim content as flat tables with all members; members without a column of their own are kept as JSON in ``rest``."""
+    src = one_per_record(claims, "record_digest", ["content"])
+    top = F.from_json(unwrapped(F.col("content")), "evidence_spans string, scope string")
+    src = src.select("record_digest", top.alias("c")).select("record_digest", F.col("c.evidence_spans").alias("spans"), F.from_json("c.scope", "basin_refs string").alias("s"))
+
+    def check(c: Column) -> Column:
+        v = F.from_json(c, "name string, value string, detail string")
+        return F.when(v.isNotNull(), F.struct(v["name"].alias("name"), v["value"].try_cast("double").alias("value"), v["detail"].alias("detail"), _rest(c, ["name", "value", "detail"]).alias("rest")))
+
+    def span(x: Column) -> Column:
+        v = F.from_json(x, "source_id string, source_type string, metric_ref string, checks string")
+        rest = _rest(x, ["source_id", "source_type", "metric_ref", "checks"])
+        return F.when(v.isNotNull(), F.struct(v["source_id"].alias("source_id"), v["source_type"].alias("source_type"), v["metric_ref"].alias("metric_ref"), rest.alias("rest"), F.transform(as_list(v["checks"]), check).alias("checks")))
+
+    def basin(x: Column) -> Column:
+        v = F.from_json(x, "id string, label string")
+        return F.when(x.startswith("{"), F.struct(v["id"].alias("id"), v["label"].alias("label"), _rest(x, ["id", "label"]).alias("rest"))).when(x.isNotNull(), F.struct(x.alias("id"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("rest")))
+
+    typed = src.select("record_digest", F.transform(as_list(F.col("spans")), span).alias("spans"), F.transform(as_list(F.col("s.basin_refs")), basin).alias("basins"))
+    return {
+        "spans": flat_table(typed, "record_digest", "spans", ["source_id", "source_type", "metric_ref", "rest"]),
+        "checks": flat_table(typed, "record_digest", "spans", [], "checks", ["name", "value", "detail", "rest"]),
+        "basins": flat_table(typed, "record_digest", "basins", ["id", "label", "rest"]),
+    }
+
+
+def bundle_tables(bundles: DataFrame) -> dict[str, DataFrame]:
+    """objects and records of bundles as flat tables with all members; a record's binding becomes two columns, its digest entry_digest."""
+    one = one_per_record(bundles, "record_digest", ["objects", "records"])
+    entry = lambda r: F.when(r.isNotNull(), F.struct(r["kind"].alias("kind"), r["id"].alias("id"), r["record_digest"].alias("entry_digest"), r["record_location"].alias("record_location"), r["body_location"].alias("body_location"), r["binding"]["scheme"].alias("binding_scheme"), r["binding"]["digest"].alias("binding_digest")))
+    one = one.withColumn("records", F.transform("records", entry))
+    return {
+        "objects": flat_table(one, "record_digest", "objects", ["ref", "digest", "size", "role", "media_type", "license"]),
+        "records": flat_table(one, "record_digest", "records", ["kind", "id", "entry_digest", "record_location", "body_location", "binding_scheme", "binding_digest"]),
+    }
