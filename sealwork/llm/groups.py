@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from sealwork.constants import ALIAS_TAG_SCHEME
 from sealwork.session import Scratch
 
-#: Rate of the exponential head start. A level grows as many steps as its largest head start says, about ln(vertices) / RATE.
-RATE = 0.9
+#: Rate of the exponential head start. A level grows as many steps as its largest head start says, about ln(vertices) / RATE, or
+#: until a step changes nothing, as where groups are small.
+RATE = 0.15
 #: Steps planned in one job.
 STEPS_PER_JOB = 4
 #: A vertex with more links than this is spread over several join keys.
@@ -56,10 +57,13 @@ def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, lin
             # a cluster is handed on as long as its head start lasts; each vertex keeps what reaches it with most left
             out = grown.select(F.col("v").alias("a"), "best", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
             sent = sends.join(out, ["a", "salt"]).where("best.reach >= cost")
-            grown = sent.select(F.col("b").alias("v"), "salts", F.struct((F.col("best.reach") - F.col("cost")).alias("reach"), F.col("best.c").alias("c")).alias("best")).groupBy("v").agg(F.max("salts").alias("salts"), F.max("best").alias("best"))
+            come = sent.select(F.col("b").alias("v"), "salts", F.struct((F.col("best.reach") - F.col("cost")).alias("reach"), F.col("best.c").alias("c")).alias("best"), "cost")
+            grown = come.groupBy("v").agg(F.max("salts").alias("salts"), F.max("best").alias("best"), F.max(F.when(F.col("cost") == 0, F.col("best"))).alias("own"))
             if (step + 1) % STEPS_PER_JOB == 0 and step + 1 < steps:
                 old, grown = grown, scratch.save(grown)
                 scratch.drop(old)
+                if not grown.where("own <> best").limit(1).count():
+                    break
         cluster = scratch.save(grown.select("v", F.col("best.c").alias("c")))
         levels.append(cluster)
         inner = edges.join(cluster.selectExpr("v as a", "c as ca"), "a").join(cluster.selectExpr("v as b", "c as cb"), "b")
