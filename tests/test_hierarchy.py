@@ -52,11 +52,13 @@ def mixed(seed, n):
     return links
 
 
-@pytest.mark.parametrize("name,links", [
-    ("empty", []), ("pair", [("a", ["b"]), ("b", ["a"])]), ("self", [("a", ["a"])]), ("chain", [(f"c{i:02}", [f"c{i - 1:02}"] if i else []) for i in range(60)]),
-    ("ring", [(f"r{(i * 37) % 60:03}", [f"r{(i * 37 + 37) % 60:03}"]) for i in range(60)]), ("mixed", mixed(3, 60)),
+RING = [(f"r{(i * 37) % 60:03}", [f"r{(i * 37 + 37) % 60:03}"]) for i in range(60)]
+
+
+@pytest.mark.parametrize("name,links,block_rows", [
+    ("empty", [], 1000), ("pair", [("a", ["b"]), ("b", ["a"])], 1000), ("self", [("a", ["a"])], 1000), ("chain", [(f"c{i:02}", [f"c{i - 1:02}"] if i else []) for i in range(60)], 25),
+    ("ring", RING, 1000), ("ring", RING, 40), ("mixed", mixed(3, 60), 1000), ("mixed", mixed(3, 60), 60),
 ])
-@pytest.mark.parametrize("block_rows", [1000, 40])
 def test_found_against_brute_force(spark, name, links, block_rows):
     out = hierarchy.hierarchy(table(spark, links), Scratch(spark, "test"), LOCALITY, block_rows=block_rows)
     assert found(out) == brute.descents(links)
