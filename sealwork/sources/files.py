@@ -76,7 +76,7 @@ def read_documents(listed: DataFrame) -> DataFrame:
     addresses = [r[0] for r in wanted.select("address").collect()]
     if not addresses:
         return spark.createDataFrame([], "crate string, path string, doc string")
-    text = spark.read.option("wholetext", True).text(addresses).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("address"), F.col("value").alias("doc"))
+    text = spark.read.text(addresses, wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("address"), F.col("value").alias("doc"))
     return wanted.join(text, "address").where(F.expr("try_parse_json(doc) is not null")).select("crate", "path", "doc")
 
 
