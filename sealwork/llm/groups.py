@@ -16,11 +16,13 @@ from sealwork.session import Scratch
 
 #: Rate of the exponential head start. A level grows as many steps as its largest head start says, about ln(vertices) / RATE, or
 #: until a step changes nothing, as where groups are small.
-RATE = 0.15
+RATE = 0.2
 #: Steps planned in one job.
 STEPS_PER_JOB = 4
 #: A vertex with more links than this is spread over several join keys.
 LINKS_PER_SALT = 50_000
+#: Parts in which the basins of one alias are first tied together.
+ALIAS_PARTS = 16
 
 # fixed values: alias ids that only say that no id is known
 MEANINGLESS = ("", "-", "--", "?", "n/a", "na", "n.a.", "nan", "nil", "none", "null", "tba", "tbd", "undefined", "unknown", "unspecified", "missing", "not available", "no id", "xxx")
@@ -81,8 +83,9 @@ def connected_groups(links: DataFrame, scratch: Scratch, rate: float = RATE, lin
 def basin_links(aliases: DataFrame, meaningless: tuple[str, ...] = MEANINGLESS, no_id: str = NO_ID) -> tuple[DataFrame, DataFrame]:
     """(links between 16-byte vertex keys, basins (v, basin_id)) of the same_as rows that name an id.
 
-    A basin and an alias (scheme and id without case and outer blanks) are vertices and each row links the two, so an alias
-    of many basins costs one link per basin and no pairs. In the scheme whose ids are basin ids the alias is that basin: the one
+    Vertices are basins. The basins of one alias (scheme and id without case and outer blanks) are linked to the least of
+    their part, and the least ones of the parts to the least of all, so an alias of many basins costs one link per basin, no
+    pairs and no hot key, and an alias of one basin none. In the scheme whose ids are basin ids the alias is that basin: the one
     written exactly so; else those written so but for case; else a basin of its own, in lower case. Aliases that are in
     ``meaningless`` or match ``no_id`` link nothing.
     """
@@ -99,7 +102,11 @@ def basin_links(aliases: DataFrame, meaningless: tuple[str, ...] = MEANINGLESS,
     exact = named.groupBy("alias").agg(F.bool_or(F.col("to") == F.col("alias")).alias("exact"))
     target = named.join(exact, "alias").where("to = alias or not coalesce(exact, false)").select("alias", F.coalesce("to", "lower").alias("to"))
     direct = direct.join(target, "alias").select("basin_id", "to")
-    links = other.select(basin(F.col("basin_id")).alias("a"), key(F.lit("alias"), F.col("scheme"), F.lower("alias")).alias("b"))
+    held = other.select(basin(F.col("basin_id")).alias("a"), key(F.col("scheme"), F.lower("alias")).alias("k"), F.pmod(F.xxhash64("basin_id"), F.lit(ALIAS_PARTS)).alias("part")).distinct()
+    least = held.groupBy("k", "part").agg(F.min("a").alias("b"))
+    of_all = least.groupBy("k").agg(F.min("b").alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    links = held.join(least, ["k", "part"]).where("a <> b").select("a", "b")
+    links = links.unionByName(least.join(of_all, "k").where("b <> top").select(F.col("b").alias("a"), F.col("top").alias("b")))
     links = links.unionByName(direct.select(basin(F.col("basin_id")).alias("a"), basin(F.col("to")).alias("b")))
     names = rows.select("basin_id").unionByName(direct.select(F.col("to").alias("basin_id"))).distinct()
     return links, names.select(basin(F.col("basin_id")).alias("v"), "basin_id")
@@ -111,6 +118,6 @@ def basin_groups(aliases: DataFrame, scratch: Scratch, meaningless: tuple[str, .
     Rows that are null in relation, basin_id, scheme or alias_id link nothing; repeats count once.
     """
     links, names = basin_links(aliases, meaningless, no_id)
-    placed = scratch.save(names.join(connected_groups(links, scratch), "v").select("basin_id", "root"))
+    placed = scratch.save(names.join(connected_groups(links, scratch), "v").select("basin_id", "root"))  # basins without a link are in no group
     heads = placed.groupBy("root").agg(F.min("basin_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     return placed.join(heads, "root").select("basin_id", "group_id", "n")
