@@ -64,8 +64,7 @@ def flat_children(table: str, paths: dict[str, tuple[str, str | None, str]]) ->
 def as_list(text: Column) -> Column:
     """Elements (JSON text) of a JSON value: an array's own, a lone object or string as one, null for null or unreadable text."""
     t = F.trim(text)
-    wrapped = F.when(t.startswith("["), t).when(t == "null", F.lit(None)).otherwise(F.concat(F.lit("["), t, F.lit("]")))
-    return F.from_json(wrapped, "array<string>")
+    return F.when(t.startswith("["), F.from_json(t, "array<string>")).when(text.isNotNull() & (t != "null"), F.array(text))
 
 
 def unwrapped(text: Column) -> Column:
