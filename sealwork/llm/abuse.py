@@ -33,6 +33,8 @@ FILTERS = WIDTH * OF_WIDTH
 STEPS, BATCH_DOCS, FOLDS = 1000, 48, 2
 #: A language has a threshold of its own from so many positive labels on; others share one.
 LANGUAGE_POSITIVES = 25
+#: With fewer positive labels than this no threshold can be told from scores; it is 0.5.
+LEAST_POSITIVES = 5
 #: Places of a text over which filters are laid at once, and words a task keeps.
 PLACES = 1 << 15
 KEPT_WORDS = 200_000
@@ -241,8 +243,8 @@ def logits(m: Model, docs: list[np.ndarray], feats: np.ndarray) -> np.ndarray:
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The threshold of the largest F1, half way to the next score below; 0.5 if no label is positive."""
-    if not labels.sum():
+    """The threshold of the largest F1, half way to the next score below; 0.5 if fewer than LEAST_POSITIVES labels are positive."""
+    if labels.sum() < LEAST_POSITIVES:
         return 0.5
     order = np.argsort(-scores, kind="stable")
     s, hit = scores[order], np.cumsum(labels[order])
