@@ -170,25 +170,3 @@ def orphans(runs, claims, bundles, basins, removed):
         if state:
             out.add((t, s, k, i, state, at.strftime("%Y-%m")))
     return out
-
-
-def groups(rows, meaningless):
-    """rows: (basin_id, scheme, alias_id, relation) -> {(basin, group)}."""
-    up = {}
-
-    def find(x):
-        up.setdefault(x, x)
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for b, s, a, r in rows:
-        if r == "same_as" and b is not None and s is not None and a is not None and a.strip().lower() not in meaningless:
-            s, a = s.strip().lower(), a.strip().lower()
-            up[find(("basin", b))] = find(("basin", a) if s == "aihydro" else (s, a))
-    of = defaultdict(list)
-    for k in list(up):
-        if k[0] == "basin":
-            of[find(k)].append(k[1])
-    return {(b, min(g)) for g in of.values() if len(g) > 1 for b in g}
