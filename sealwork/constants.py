@@ -1,9 +1,6 @@
 """Tags, vocabularies, tables and thresholds that must equal those of the data formats, because they are hashed or matched."""
 
 # fixed values: wire-format tags
-RUN_TAG = "aihydro.run/2"
-CLAIM_TAG = "aihydro.claim_revision_record/1"
-BUNDLE_TAG = "aihydro.bundle/1"
 GEOMETRY_TAG = "aihydro.geom/1"
 ANCHOR_TAG = "aihydro.basin_anchor/1"
 BASIN_PREFIX = "aihydro:basin:"
@@ -15,7 +12,6 @@ SPDX_BASE = "https://spdx.org/licenses/"
 # fixed values: vocabularies
 RUN_STATUSES = ("ok", "error", "refused")
 ACTOR_KINDS = ("human", "agent", "package", "system")
-ALIAS_RELATIONS = ("same_as", "located_at", "derived_from", "fallback_of")
 RECORD_KINDS = ("run", "claim_revision", "approval", "basin_ref", "claim_view")
 UNSEALED_KINDS = ("claim_view",)
 GATE_OUTCOMES = ("refused", "error")
@@ -27,8 +23,28 @@ SCRUB_MARKERS = ("<abs>", "~/", "workspace:", "session-data:")
 ACTION_TYPES = ("CreateAction", "AssessAction", "UpdateAction", "ActivateAction")
 CLAIM_BASES = ("sealed_revision", "working_view_unsealed")
 
-# fixed values: top-level folders of local paths
+# fixed values: what counts as a local path (file addresses, system roots, drives, network shares, home folders); no look-behind, so that RE2 takes it as well
 LOCAL_ROOTS = ("Users", "home", "private", "var", "tmp", "opt", "root", "mnt", "Volumes", "srv", "scratch", "etc")
+LOCAL_PATH = "|".join(
+    [
+        "file://",
+        r"""(?:^|[\s"'(=:,;\[])/(?:""" + "|".join(LOCAL_ROOTS) + ")/",
+        r"""(?:^|[\s"'(=,;\[])[A-Za-z]:(?:\\|/(?:Users|Windows|Documents|Program|home|tmp|temp)\b)""",
+        r"""(?:^|[\s"'(])//[A-Za-z0-9_-]+/[^/\s]+""",
+        r"""\\\\[^\\\s]+\\[^\\\s]+""",
+        r"""(?:^|[\s"'(])~/[A-Za-z._]""",
+        r"""\$\{?HOME\b|%USERPROFILE%|%HOMEPATH%""",
+    ]
+)
+
+# fixed values: form of an ISO date
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+# fixed values: members that a withheld record may have
+STUB_KEYS = {
+    "run": ("redacted_for_privacy", "run_id", "session_id", "timestamp", "tool_name", "record_digest", "entry_digest", "reason", "record"),
+    "claim_revision": ("redacted_for_privacy", "session_id", "claim_id", "revision", "supersedes", "revision_digest", "record_digest", "recorded_at", "reason"),
+}
 
 # fixed values: media types by extension
 MEDIA_TYPES = {

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealwork.constants import LOCAL_ROOTS, MEDIA_TYPES, REPLAY_RANKS, SCRUB_MARKERS, SPDX_BASE
+from sealwork.constants import ISO_DATE, LOCAL_PATH, MEDIA_TYPES, REPLAY_RANKS, SCRUB_MARKERS, SPDX_BASE
 
 # ---------------------------------------------------------------- JSON pointers and locations
 
@@ -140,9 +140,6 @@ def iso_ms(c: Column) -> Column:
     return F.when(c.rlike(_ISO), F.concat(F.regexp_extract(c, _ISO, 1), cut, F.when(zone == "Z", "+00:00").otherwise(zone))).otherwise(c)
 
 
-ISO_DATE = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-
-
 def is_iso_date(c: Column) -> Column:
     return F.coalesce(c.rlike(ISO_DATE) & ~c.contains("\n"), F.lit(False))
 
@@ -160,19 +157,6 @@ def weakest_level(c: Column) -> Column:
 
 # ---------------------------------------------------------------- what must not leave
 
-#: Local paths: file addresses, system roots, drives, network shares, home directories. No look-behind, so that RE2 takes it as well.
-LOCAL_PATH = "|".join(
-    [
-        "file://",
-        r"""(?:^|[\s"'(=:,;\[])/(?:""" + "|".join(LOCAL_ROOTS) + ")/",
-        r"""(?:^|[\s"'(=,;\[])[A-Za-z]:(?:\\|/(?:Users|Windows|Documents|Program|home|tmp|temp)\b)""",
-        r"""(?:^|[\s"'(])//[A-Za-z0-9_-]+/[^/\s]+""",
-        r"""\\\\[^\\\s]+\\[^\\\s]+""",
-        r"""(?:^|[\s"'(])~/[A-Za-z._]""",
-        r"""\$\{?HOME\b|%USERPROFILE%|%HOMEPATH%""",
-    ]
-)
-
 
 def has_local_path(c: Column) -> Column:
     return F.coalesce(c.rlike(LOCAL_PATH), F.lit(False))

@@ -7,16 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealwork.constants import BAG_FILE, CRATE_FILE, UNSEALED_KINDS
+from sealwork.constants import BAG_FILE, CRATE_FILE, STUB_KEYS, UNSEALED_KINDS
 from sealwork.operators import seals, verify
 from sealwork.sources import files
 
 BUNDLE_FILE, MANIFEST_FILE = "bundle.json", "capsule_manifest.json"
-#: Members a withheld record may have.
-STUB_KEYS = {
-    "run": ("redacted_for_privacy", "run_id", "session_id", "timestamp", "tool_name", "record_digest", "entry_digest", "reason", "record"),
-    "claim_revision": ("redacted_for_privacy", "session_id", "claim_id", "revision", "supersedes", "revision_digest", "record_digest", "recorded_at", "reason"),
-}
 _BUNDLE = (
     "session_id string, objects array<struct<ref:string,digest:string,size:bigint>>, records array<struct<kind:string,id:string,record_digest:string,record_location:string,body_location:string,binding:struct<scheme:string,digest:string>>>, "
     "coverage struct<records_verified:bigint,records_total:bigint,unverifiable_ids:array<string>,withheld_ids:array<string>>, run_rows struct<sealed:bigint,legacy_no_record:bigint,unbound:bigint,unsealable:bigint,withheld_for_privacy:bigint>, "

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealwork.constants import ACTOR_KINDS, ANCHOR_TAG, BASIN_PREFIX, GEOMETRY_TAG, MEDIA_TYPES, REPLAY_RANKS, RUN_STATUSES
+from sealwork.constants import ACTOR_KINDS, ANCHOR_TAG, BASIN_PREFIX, GEOMETRY_TAG, LOCAL_PATH, MEDIA_TYPES, REPLAY_RANKS, RUN_STATUSES
 from sealwork.functions import canon, geometry, text
 from sealwork.operators import graph, resampling, seals, store, verify
 from sealwork.session import read_table
@@ -330,7 +330,7 @@ def media_type_paths(spark, d):
     return read_table(spark, d, "documents").select("doc_id", text.media_type(F.col("path")).alias("media_type"))
 
 
-@query(f"""select doc_id, coalesce(regexp_matches(text, '{text.LOCAL_PATH.replace("'", "''")}'), false) as has_path from documents""")
+@query(f"""select doc_id, coalesce(regexp_matches(text, '{LOCAL_PATH.replace("'", "''")}'), false) as has_path from documents""")
 def privacy_path_scan(spark, d):
     return read_table(spark, d, "documents").select("doc_id", text.has_local_path(F.col("text")).alias("has_path"))
 
